@@ -86,7 +86,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     yield batch.slice(at)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+def map_texts(
+    df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, most: int = SLICE_BYTES
+) -> DataFrame:
     """mapInArrow over runs of rows.
 
     ``make`` runs once in each task and returns the function from a dict of column lists to a dict
@@ -97,7 +99,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 out = step(part.to_pydict())
                 yield pa.RecordBatch.from_pydict({k: out[k] for k in names}, schema=kinds)
 
