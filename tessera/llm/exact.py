@@ -121,11 +121,13 @@ def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: the first of equal rows, by the largest id."""
-    groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"))
+    """The rows of docs that stay in exact_groups(), with all their columns; texts move once more."""
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"))
+    kept = kept.withColumn("_row", F.xxhash64("_kept_id"))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    found = docs.withColumn("_sha", sha).join(groups, "_sha").filter(F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    return found.dropDuplicates(["_sha"]).select(*docs.columns)
+    named = docs.withColumns({"_sha": sha, "_row": F.xxhash64(F.col("doc_id").cast("long"))})
+    found = named.join(kept, ["_row", "_sha"], "left_semi")  # copies of a text spread by their ids
+    return found.dropDuplicates(["_row", "_sha"]).select(*docs.columns)
 
 
 def ascii_lower(text):

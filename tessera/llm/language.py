@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, hash_between, map_texts, mix, prefix_sums, read_table
+from .common import U64, hash_between, map_texts, mix, prefix_sums, read_table, slices
 
 #: Training sample: about so many documents, none longer than so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
@@ -283,5 +284,22 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
     return map_texts(texts, _labelled(model), schema)
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5, parts: int = 4, held: int = 2) -> DataFrame:
+    """The rows of docs, with all columns, whose language is determined with a score of ``least`` at least.
+
+    Rows pass through one by one, without a shuffle; texts that are null or have no letters go.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, fold("doc_id", parts) == held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = model.value
+        for batch in batches:
+            for part in slices(batch):
+                found = crf.label(part.column("text").to_pylist())
+                yield part.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least for x in found]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, quality, sharding, simhash, tokenizing
+import corpus_pipeline
+
+from . import exact, language, packing, quality, sharding, simhash, suffixes, tokenizing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        suffixes.op1_suffix_array,
+        toxicity.op2_nnpu_toxicity,
+        language.op4_crf_language,
         exact.op5_chunk_recipes,
         tokenizing.op6_trie_bpe,
         simhash.op7_bit_sliced_simhash,
@@ -18,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packing.op9_complement_packing,
         quality.op10_repetition_rules,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -253,9 +253,12 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that are the first, by doc_id, of their component, with all their columns."""
-    first = simhash_components(docs, radius).select("component_id").distinct()
-    return docs.join(first, F.col("doc_id") == F.col("component_id"), "left_semi")
+    """The rows of docs that are the first, by doc_id, of their component, with all their columns.
+
+    Rows without an id cannot be named as the first and stay.
+    """
+    first = simhash_components(docs, radius).select(F.col("component_id").alias("doc_id")).distinct()
+    return docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 def op7_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
