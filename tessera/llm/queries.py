@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact, language, packing, quality, sharding, simhash, suffixes, tokenizing, toxicity
+from . import exact, language, packing, passages, quality, sharding, simhash, suffixes, tokenizing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         suffixes.op1_suffix_array,
         toxicity.op2_nnpu_toxicity,
+        passages.op3_compact_windows,
         language.op4_crf_language,
         exact.op5_chunk_recipes,
         tokenizing.op6_trie_bpe,
