@@ -28,8 +28,10 @@ from .common import U64, arrow_schema, hash_between, map_texts, materialize, pre
 LENGTH, GRAM, WINDOW = 400, 32, 128
 #: Starts of a text that are looked at together; longer texts are cut into runs of starts.
 RUN = 1 << 18
-#: Different anchors under one key that go to one suffix array; a key with more is counted string by string.
+#: Different anchors under one key that go to one suffix array; a key with more is parted by its starts'
+#: distances from the minimizer, in blocks of STEPS, and what the starts of a block share.
 CROWD = 1024
+STEPS = (32, 8, 2, 1)
 #: Bytes of text in one suffix array.
 ARRAY_BYTES = 1 << 19
 SECOND_BASE = 0xD6E8FEB86659FD93
@@ -148,19 +150,19 @@ def intervals(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
 
 
-ANCHORS = "k1 long, k2 long, key long, g1 long, g2 long, first int, last int"
+ANCHORS = "k1 long, k2 long, key long, g1 long, g2 long, first int, last int, deep int"
 
 
 def _anchored(length: int) -> Callable[[], Callable[[dict], dict]]:
     def step(rows: dict) -> dict:
-        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        out: list[list[np.ndarray]] = [[] for _ in range(8)]
         for k1, k2, text in zip(rows["k1"], rows["k2"], rows["text"], strict=True):
-            first, last, _, key, g1, g2 = anchors((text or "").encode(), length)
+            first, last, at, key, g1, g2 = anchors((text or "").encode(), length)
             n = len(first)
-            for to, x in zip(out, (np.full(n, k1), np.full(n, k2), key, g1, g2, first, last), strict=True):
+            for to, x in zip(out, (np.full(n, k1), np.full(n, k2), key, g1, g2, first, last, at - first), strict=True):
                 to.append(x)
         names = [x.split()[0] for x in ANCHORS.split(", ")]
-        kinds = [np.int64] * 5 + [np.int32] * 2
+        kinds = [np.int64] * 5 + [np.int32] * 3
         return {k: np.concatenate(x).astype(t) if x else np.zeros(0, t) for k, x, t in zip(names, out, kinds, strict=True)}
 
     return lambda: step
@@ -176,70 +178,85 @@ def _unpress(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-PIECES = "key long, g1 long, g2 long, crowded boolean, piece binary"
+PIECES = "within long, key long, g1 long, g2 long, crowded boolean, a int, deep int, piece binary"
 
 
-def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The bytes of anchors, from the texts that they stand for; rows of one text stand together."""
+def _cut(length: int, kinds: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of anchors, from the texts that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256).to_pydict()
-                out: dict[str, list] = {"key": [], "g1": [], "g2": [], "crowded": [], "piece": []}
+                out: dict[str, list] = {k: [] for k in kinds.names}
                 for z, wanted in zip(rows["z"], rows["wanted"], strict=True):
                     data = _unpress(z)
                     for w in wanted:
-                        for k in ("key", "g1", "g2", "crowded"):
+                        for k in ("key", "g1", "g2", "crowded", "deep"):
                             out[k].append(w[k])
+                        out["within"].append(w["key"])
+                        out["a"].append(0)
                         out["piece"].append(data[w["first"] : w["last"] + length])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                    [("key", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("crowded", pa.bool_()), ("piece", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return run
 
 
+PARTS = "within long, same binary, key long, g1 long, g2 long, a int, deep int, piece binary"
+
+
+def _parted(length: int, step: int) -> Callable[[], Callable[[dict], dict]]:
+    """Pieces cut into blocks of starts by distance from the minimizer.
+
+    ``within`` stands for the block and the bytes that all its starts share, which equal strings have
+    in common; ``same`` for all bytes.
+    """
+
+    def run(rows: dict) -> dict:
+        out: dict[str, list] = {x.split()[0]: [] for x in PARTS.split(", ")}
+        for within, key, g1, g2, a, deep, piece in zip(*(rows[k] for k in ("within", "key", "g1", "g2", "a", "deep", "text")), strict=True):
+            shallow = deep - (len(piece) - length)
+            for block in range(shallow // step, deep // step + 1):
+                far, close = min(deep, block * step + step - 1), max(shallow, block * step)
+                part = piece[deep - far : deep - close + length]
+                core = piece[deep - block * step : deep - block * step - step + 1 + length]
+                name = hashlib.blake2b(b"%d %d %d " % (within, step, block) + core, digest_size=8).digest()
+                same = hashlib.blake2b(b"%d " % far + part, digest_size=16).digest()
+                row = int.from_bytes(name, "little", signed=True), same, key, g1, g2, a + deep - far, far, part
+                for k, v in zip(out, row, strict=True):
+                    out[k].append(v)
+        return out
+
+    return lambda: run
+
+
 FOUND = "key long, g1 long, g2 long, runs array<struct<a:int,b:int>>"
 
 
 def _sorted_out(length: int, kinds: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffix arrays over whole keys, up to ARRAY_BYTES of text in each."""
+    """Suffix arrays over whole groups (within), up to ARRAY_BYTES of text in each."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        marks = repeated_starts([r[3] for r in rows], length)
-        out = [(r[0], r[1], r[2], [{"a": a, "b": b} for a, b in runs]) for r, m in zip(rows, marks, strict=True) if (runs := intervals(m))]
+        marks = repeated_starts([r[5] for r in rows], length)
+        out = [(*r[1:4], [{"a": r[4] + a, "b": r[4] + b} for a, b in runs]) for r, m in zip(rows, marks, strict=True) if (runs := intervals(m))]
         return pa.RecordBatch.from_pydict(dict(zip(kinds.names, map(list, zip(*out, strict=True)), strict=True)) if out else {k: [] for k in kinds.names}, schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "g1", "g2", "piece")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("within", "key", "g1", "g2", "a", "piece")), strict=True):
                 if size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield solve(held)
 
     return run
 
 
-def _each_start(length: int) -> Callable[[], Callable[[dict], dict]]:
-    """A digest of every string of crowded anchors."""
-
-    def step(rows: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("key", "g1", "g2", "a", "digest")}
-        for key, g1, g2, piece in zip(rows["key"], rows["g1"], rows["g2"], rows["text"], strict=True):
-            for a in range(len(piece) - length + 1):
-                for k, v in zip(out, (key, g1, g2, a, hashlib.blake2b(piece[a : a + length], digest_size=16).digest()), strict=True):
-                    out[k].append(v)
-        return out
-
-    return lambda: step
-
-
 SPANS = "n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -279,8 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     than ``length`` keep everything; null ids stay; an empty table gives no rows; further columns are
     dropped unless named in ``carry``.  Long texts are anchored in runs and never compared as a whole.
 
-    A key of more than ``crowd`` different anchors (a common passage in many surroundings) is not
-    sorted in one task: its strings are digested and counted one by one, which spreads over tasks.
+    A key of more than ``crowd`` different anchors (a common passage in many surroundings) does not go
+    to one task.  Its starts are parted by their distance from the minimizer, in ever smaller blocks,
+    and by the bytes that a block's starts share: what lies inside the passage then is equal as a
+    whole, and what reaches out of it parts by its surroundings.
     """
     spark = docs.sparkSession
     press = F.pandas_udf(_press, BinaryType())
@@ -295,26 +314,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     shared_keys = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     hits = materialize(found.join(shared_keys, "key"), "anchors")
 
-    wholes = hits.groupBy("key", "g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("at"))
+    wholes = hits.groupBy("key", "g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last", "deep")).alias("at"))
     wholes = materialize(wholes, "wholes")
     kinds = wholes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     open_ones = wholes.join(kinds, "key").select("key", "g1", "g2", (F.col("kinds") > crowd).alias("crowded"), "at.*")
-    wanted = open_ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "g1", "g2", "crowded", "first", "last")).alias("wanted"))
+    wanted = open_ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "g1", "g2", "crowded", "first", "last", "deep")).alias("wanted"))
     once = long_ones.select("k1", "k2", press("text").alias("z"))
-    pieces = materialize(once.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(_cut(length), PIECES), "pieces")
+    pieces = materialize(once.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(_cut(length, arrow_schema(spark, PIECES)), PIECES), "pieces")
 
     found_schema = arrow_schema(spark, FOUND)
-    dealt = pieces.filter("not crowded").repartition("key").sortWithinPartitions("key", "g1", "g2").select("key", "g1", "g2", "piece")
-    solved = dealt.mapInArrow(_sorted_out(length, found_schema), FOUND)
-    crowded = pieces.filter("crowded").select("key", "g1", "g2", F.col("piece").alias("text"))
-    starts = map_texts(crowded, _each_start(length), "key long, g1 long, g2 long, a int, digest binary")
-    twice = starts.select("key", "g1", "g2", "a", "digest").distinct()
-    often = twice.groupBy("key", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("key", "digest")
-    counted = twice.join(often, ["key", "digest"]).groupBy("key", "g1", "g2").agg(
-        F.collect_list(F.struct(F.col("a"), F.col("a").alias("b"))).alias("runs")
-    )
-    runs = solved.unionByName(counted)
-    runs = materialize(runs, "runs")
+    columns = ["within", "key", "g1", "g2", "a", "deep", "piece"]
+    ready, crowded, full = pieces.filter("not crowded").select(columns), pieces.filter("crowded").select(columns), None
+    kept = [pieces]
+    for step in STEPS:
+        if crowded.isEmpty():
+            break
+        given = crowded.withColumnRenamed("piece", "text")
+        parts = materialize(map_texts(given, _parted(length, step), PARTS), "parts")
+        by = parts.groupBy("within", "same").agg(F.count("*").alias("n"), F.min(F.struct("key", "g1", "g2", "a")).alias("one"))
+        sorts = by.groupBy("within").agg(F.count("*").alias("sorts"))
+        counted = materialize(parts.join(by, ["within", "same"]).join(sorts, "within"), "counted")
+        kept += [parts, counted]
+        again = counted.filter("n > 1").select("key", "g1", "g2", F.array(F.struct(
+            F.col("a"), (F.col("a") + F.octet_length("piece") - length).cast("int").alias("b"))).alias("runs"))
+        full = again if full is None else full.unionByName(again)
+        rest = counted.filter((F.col("sorts") > 1) & (F.struct("key", "g1", "g2", "a") == F.col("one")))
+        ready = ready.unionByName(rest.filter(F.col("sorts") <= crowd).select(columns))
+        crowded = rest.filter(F.col("sorts") > crowd).select(columns)
+    dealt = ready.repartition("within").sortWithinPartitions("within", "key", "g1", "g2", "a")
+    runs = dealt.mapInArrow(_sorted_out(length, found_schema), FOUND)
+    runs = materialize(runs if full is None else runs.unionByName(full), "runs")
 
     same = wholes.filter("n > 1").select("key", "g1", "g2", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
     differ = runs.join(wholes.filter("n > 1"), ["key", "g1", "g2"], "left_anti")
@@ -325,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     )
     spans = spans.groupBy("k1", "k2").agg(F.collect_list("s").alias("starts"))
     spans = materialize(spans, "starts")
-    for done in (pieces, runs, wholes, hits):
+    for done in (*kept, runs, wholes, hits):
         release(done)
     pressed = texts.select(*carried, "k1", "k2", press("text").alias("z"))
     schema = StructType([*pressed.select(*carried).schema, *StructType.fromDDL(SPANS)])
