@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tessera"
 #: Bytes of text that a numpy step holds at once.
 SLICE_BYTES = 1 << 20
+#: Parts of like size into which join_spread() deals the rows of frequent keys.
+HOT_PARTS = 10_000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -114,6 +116,22 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def join_spread(many: DataFrame, few: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join with a written table that says in ``size`` how many rows of ``many`` have each key.
+
+    A key of more than 1 / HOT_PARTS of these rows is dealt over parts of about that many rows, by a
+    hash of the row; its row in ``few`` is repeated for each part.  Fewer than HOT_PARTS keys can be
+    so frequent, so the list of them that is broadcast is bounded whatever the input's size.
+    """
+    total = few.agg(F.sum(size)).first()[0] or 1
+    few = few.withColumn("_parts", F.least(F.col(size), F.ceil(F.col(size) * F.lit(HOT_PARTS) / F.lit(total))).cast("int"))
+    hot = F.broadcast(few.filter("_parts > 1").select(*on, "_parts"))
+    part = F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = many.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    few = few.withColumn("_part", F.explode(F.expr("sequence(0, greatest(_parts, 1) - 1)"))).drop("_parts")
+    return dealt.join(few, [*on, "_part"]).drop("_part")
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
