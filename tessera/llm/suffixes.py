@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import U64, arrow_schema, hash_between, map_texts, materialize, prefix_sums, read_table, release, window_hashes
+from .common import U64, arrow_schema, hash_between, join_spread, map_texts, materialize, prefix_sums, read_table, release, window_hashes
 
 LENGTH, GRAM, WINDOW = 400, 32, 128
 #: Starts of a text that are looked at together; longer texts are cut into runs of starts.
@@ -311,13 +311,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     texts = texts.withColumns({"k1": F.coalesce("doc_id", F.lit(0).cast("long")), "k2": F.xxhash64("doc_id", "text")})
     long_ones = texts.filter(F.octet_length("text") >= length)
     found = map_texts(long_ones.select("k1", "k2", "text"), _anchored(length), ANCHORS)
-    shared_keys = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    hits = materialize(found.join(shared_keys, "key"), "anchors")
+    shared_keys = materialize(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
+    hits = materialize(join_spread(found, shared_keys, ["key"], "n").drop("n"), "anchors")
 
     wholes = hits.groupBy("key", "g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last", "deep")).alias("at"))
     wholes = materialize(wholes, "wholes")
-    kinds = wholes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ones = wholes.join(kinds, "key").select("key", "g1", "g2", (F.col("kinds") > crowd).alias("crowded"), "at.*")
+    kinds = materialize(wholes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    open_ones = join_spread(wholes, kinds, ["key"], "kinds").select("key", "g1", "g2", (F.col("kinds") > crowd).alias("crowded"), "at.*")
     wanted = open_ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "g1", "g2", "crowded", "first", "last", "deep")).alias("wanted"))
     once = long_ones.select("k1", "k2", press("text").alias("z"))
     pieces = materialize(once.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(_cut(length, arrow_schema(spark, PIECES)), PIECES), "pieces")
@@ -325,16 +325,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     found_schema = arrow_schema(spark, FOUND)
     columns = ["within", "key", "g1", "g2", "a", "deep", "piece"]
     ready, crowded, full = pieces.filter("not crowded").select(columns), pieces.filter("crowded").select(columns), None
-    kept = [pieces]
+    kept = [shared_keys, kinds, pieces]
     for step in STEPS:
         if crowded.isEmpty():
             break
         given = crowded.withColumnRenamed("piece", "text")
         parts = materialize(map_texts(given, _parted(length, step), PARTS), "parts")
         by = parts.groupBy("within", "same").agg(F.count("*").alias("n"), F.min(F.struct("key", "g1", "g2", "a")).alias("one"))
-        sorts = by.groupBy("within").agg(F.count("*").alias("sorts"))
-        counted = materialize(parts.join(by, ["within", "same"]).join(sorts, "within"), "counted")
-        kept += [parts, counted]
+        by = materialize(by, "equals")
+        sorts = materialize(by.groupBy("within").agg(F.count("*").alias("sorts")), "sorts")
+        both = materialize(join_spread(by, sorts, ["within"], "sorts"), "equals")
+        counted = materialize(join_spread(parts, both, ["within", "same"], "n"), "counted")
+        kept += [parts, by, sorts, both, counted]
         again = counted.filter("n > 1").select("key", "g1", "g2", F.array(F.struct(
             F.col("a"), (F.col("a") + F.octet_length("piece") - length).cast("int").alias("b"))).alias("runs"))
         full = again if full is None else full.unionByName(again)
@@ -345,9 +347,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     runs = dealt.mapInArrow(_sorted_out(length, found_schema), FOUND)
     runs = materialize(runs if full is None else runs.unionByName(full), "runs")
 
-    same = wholes.filter("n > 1").select("key", "g1", "g2", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    differ = runs.join(wholes.filter("n > 1"), ["key", "g1", "g2"], "left_anti")
-    marked = hits.join(same.unionByName(differ), ["key", "g1", "g2"])
+    same = wholes.filter("n > 1").select("key", "g1", "g2", "n")
+    differ = runs.join(same, ["key", "g1", "g2"], "left_anti")
+    equal = join_spread(hits, same, ["key", "g1", "g2"], "n").drop("n").withColumn("runs", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    marked = equal.unionByName(hits.join(differ, ["key", "g1", "g2"]))
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b")))
     spans = marked.select("k1", "k2", "first", F.explode(F.coalesce("runs", whole)).alias("r")).select(
         "k1", "k2", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b")).alias("s")
