@@ -347,17 +347,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     runs = dealt.mapInArrow(_sorted_out(length, found_schema), FOUND)
     runs = materialize(runs if full is None else runs.unionByName(full), "runs")
 
-    same = wholes.filter("n > 1").select("key", "g1", "g2", "n")
-    differ = runs.join(same, ["key", "g1", "g2"], "left_anti")
-    equal = join_spread(hits, same, ["key", "g1", "g2"], "n").drop("n").withColumn("runs", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    marked = equal.unionByName(hits.join(differ, ["key", "g1", "g2"]))
+    same = wholes.filter("n > 1").select("key", "g1", "g2", "n", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
+    differ = runs.join(same, ["key", "g1", "g2"], "left_anti").select("key", "g1", "g2", F.lit(1).cast("long").alias("n"), "runs")
+    marks = materialize(same.unionByName(differ), "marks")
+    marked = join_spread(hits, marks, ["key", "g1", "g2"], "n")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first")).alias("b")))
     spans = marked.select("k1", "k2", "first", F.explode(F.coalesce("runs", whole)).alias("r")).select(
         "k1", "k2", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b")).alias("s")
     )
     spans = spans.groupBy("k1", "k2").agg(F.collect_list("s").alias("starts"))
     spans = materialize(spans, "starts")
-    for done in (*kept, runs, wholes, hits):
+    for done in (*kept, runs, marks, wholes, hits):
         release(done)
     pressed = texts.select(*carried, "k1", "k2", press("text").alias("z"))
     schema = StructType([*pressed.select(*carried).schema, *StructType.fromDDL(SPANS)])
