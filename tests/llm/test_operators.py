@@ -213,6 +213,26 @@ def test_passages(docs, none):
     assert passages.passage_classes(none).count() == 0
 
 
+def near(x, y):
+    x, y = passages.shingles(" ".join(x)), passages.shingles(" ".join(y))
+    return any(passages.best_match(x, a, y, int(b)) for a in range(len(x)) for b in np.flatnonzero(y == x[a]))
+
+
+@pytest.mark.parametrize(("n", "edits"), [(50, [25]), (60, [30]), (80, [40]), (100, [33, 66])])
+def test_edited_passages(n, edits):
+    words = [f"v{i}" for i in range(n)]
+    y = list(words)
+    for e in edits:
+        y[e] = "changed"
+    for around in (0, 150):
+        pad = [[f"{k}{i}" for i in range(around)] for k in "abcd"]
+        assert near(pad[0] + words + pad[1], pad[2] + y + pad[3])
+    y[::12] = ["changed"] * len(y[::12])
+    assert not near(words, y)
+    moved = words[n // 2 :] + words[: n // 2]
+    assert near(words, moved)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(20):
