@@ -233,6 +233,15 @@ def test_edited_passages(n, edits):
     assert near(words, moved)
 
 
+@pytest.mark.parametrize(("n", "later"), [(60, 26), (60, 75), (200, 100)])
+def test_passage_with_a_stray_phrase(n, later):
+    words = [f"v{i}" for i in range(n)]
+    y = words + [f"z{i}" for i in range(later)] + words[20:25] + [f"y{i}" for i in range(200)]
+    x, y = passages.shingles(" ".join(words)), passages.shingles(" ".join(y))
+    first, last, low, high = passages.best_match(x, 10, y, 10)
+    assert (first, low) == (0, 0) and last == len(x) - 1 and high >= last
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(20):
