@@ -242,6 +242,23 @@ def test_passage_with_a_stray_phrase(n, later):
     assert (first, low) == (0, 0) and last == len(x) - 1 and high >= last
 
 
+@pytest.mark.parametrize("leads", [1, 32])
+def test_passages_not_like_the_first(spark, leads):
+    phrase = say([f"p{i}" for i in range(99)], 30)
+    words = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    # 30 words that all share, in 20 more words that three sets of documents share and other documents do not
+    texts = [f"{words(f'a{i}', 60)} {phrase} {words(f'b{i}', 60)}" for i in range(12)]
+    texts += [f"{words(f'c{k}{i}', 60)} {words(f'd{k}', 10)} {phrase} {words(f'e{k}', 10)} {words(f'f{k}{i}', 60)}" for k in range(3) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = passages.matches(docs, leads)
+    edges = {(r[0], r[1]) for r in found.select("doc_id", "other_id").collect()}
+    got = {i: i for i in range(len(texts))}
+    for _ in texts:
+        for a, b in edges:
+            got[a] = got[b] = min(got[a], got[b])
+    assert [got[i] for i in range(len(texts))] == [*range(12), *[12] * 4, *[16] * 4, *[20] * 4]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(20):
