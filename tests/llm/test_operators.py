@@ -259,6 +259,15 @@ def test_passages_not_like_the_first(spark, leads):
     assert [got[i] for i in range(len(texts))] == [*range(12), *[12] * 4, *[16] * 4, *[20] * 4]
 
 
+def test_passage_within_a_document(spark):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    texts = [f"{words('a', 50)} {words('p', 60)} {words('b', 90)} {words('p', 60)} {words('c', 50)}", words("q", 200), " ".join(["r1 r2 r3 r4 r5 r6"] * 5)]
+    rows = passages.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_passages"]) for r in rows}
+    assert got == {0: (0, 0, 2), 1: (1, 0, 0), 2: (2, 0, 0)}
+    assert 120 <= next(r["n_dup_words"] for r in rows if r["doc_id"] == 0) <= 150
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(20):
