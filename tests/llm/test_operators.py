@@ -268,6 +268,32 @@ def test_passage_within_a_document(spark):
     assert 120 <= next(r["n_dup_words"] for r in rows if r["doc_id"] == 0) <= 150
 
 
+def test_passage_recall():
+    """Pairs of passages of similarity 0.8 or a little more, by brute force, in other surroundings."""
+    rng, texts, pairs = random.Random(5), [], 0
+    words = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    while pairs < 400:
+        x = words(rng.randrange(50, 60))
+        y = list(x)
+        for e in rng.sample(range(len(x)), rng.randrange(1, 4)):
+            y[e] = words(1)[0]
+        one, other = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+        if 0.8 <= len(one & other) / len(one | other) < 0.85:
+            texts += [" ".join(words(80) + t + words(80)) for t in (x, y)]
+            pairs += 1
+    ids = list(range(len(texts)))
+    rows = passages._windows()({"text": texts, "k1": ids, "k2": ids})
+    at = {}
+    for k, key, place in zip(*(np.asarray(rows[c]).tolist() for c in ("k1", "key", "at")), strict=True):
+        at.setdefault(k, {}).setdefault(key, []).append(place)
+    hashed = [passages.shingles(t) for t in texts]
+    found = 0
+    for i in ids[::2]:
+        places = [(a, b) for key in at[i].keys() & at[i + 1].keys() for a in at[i][key] for b in at[i + 1][key]]
+        found += any(passages.best_match(hashed[i], a, hashed[i + 1], b) for a, b in places)
+    assert found >= pairs - 2, found
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(20):
