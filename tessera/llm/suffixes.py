@@ -366,12 +366,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     return out.withColumnsRenamed(dict(zip(carried[1:], carry, strict=True)))
 
 
+def _whole_characters(kept: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Text of the kept bytes; each run between spans is decoded apart, so that no bytes join over a removed one."""
+    out = []
+    for data, begin, end in zip(kept, starts, ends, strict=True):
+        begin, end = np.asarray(begin, np.int64), np.asarray(end, np.int64)
+        cuts = [0, *(begin - np.concatenate(([0], np.cumsum(end - begin)[:-1]))).tolist(), len(data)] if len(begin) else [0, len(data)]
+        out.append("".join(bytes(data[i:j]).decode(errors="ignore") for i, j in zip(cuts, cuts[1:])))
+    return pd.Series(out, dtype=object)
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the bytes of repeated strings taken out of text; a character cut in two goes whole."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = remove_repeats(docs, length, carry=others).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string")))
-    out = out.withColumn("text", F.replace("text", F.lit("\ufffd"), F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    decoded = F.pandas_udf(_whole_characters, "string")
+    out = remove_repeats(docs, length, carry=others).withColumn("text", decoded("kept", "spans.start", "spans.end"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

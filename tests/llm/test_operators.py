@@ -74,6 +74,23 @@ def test_suffixes(docs, none, crowd):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_whole_characters(spark):
+    shared = "\u00a9" + "abcdefghij" * 4 + "\u00e3"  # c2 a9 ... c3 a3; é is c3 a9, è c3 a8
+    texts = ["clean \ufffd text", None, "", f"one {shared[1:]} two \ufffd", f"\u00e9{shared[1:-1]}\u00e8 end", f"\u00e9{shared[1:-1]}\u00e9 tail"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    spans = {r["doc_id"]: (r["spans"], (texts[r["doc_id"]] or "").encode()) for r in suffixes.remove_repeats(docs, 30).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in suffixes.without_repeats(docs, 30).collect()}
+    assert got[0][0] == texts[0] and got[1][0] == got[2][0] == "" and "\ufffd" in got[3][0]
+    for i, (removed, data) in spans.items():
+        ends = [0, *(x for s in removed for x in (s["start"], s["end"])), len(data)]
+        want = "".join(data[a:b].decode(errors="ignore") for a, b in zip(ends[::2], ends[1::2], strict=True))
+        assert got[i] == (want, len(want))
+    assert spans[4][0] and spans[5][0]
+    # c3 | removed | a9: bytes on both sides of a removed run are no character
+    pieces = [b"x\xc3", b"\xa9y"]
+    assert suffixes._whole_characters(*([x] for x in (b"".join(pieces), [2], [40]))).tolist() == ["xy"]
+
+
 def test_suffix_array():
     for n in range(60):
         for top in (1, 2, 200):
