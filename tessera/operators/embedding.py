@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import subprocess
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +14,51 @@ from pyspark.sql import DataFrame
 
 from .history import missing_embeddings
 
-DIM, BATCH = 384, 64
+DIM, BATCH, TIMEOUT = 384, 64, 300
+
+
+class Failed(Exception):
+    """The embedder gave no answer, or not one vector of the right size for each text."""
+
+
+def sidecar(command: list[str], timeout: float = TIMEOUT) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder that is another program: JSON lines {id, text} in, {id, vector} out."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        given = "".join(json.dumps({"id": str(i), "text": t}) + "\n" for i, t in enumerate(texts))
+        try:
+            done = subprocess.run(command, input=given, capture_output=True, text=True, timeout=timeout, check=True)
+            rows = [json.loads(x) for x in done.stdout.splitlines() if x.strip()]
+            found = {r["id"]: r["vector"] for r in rows}
+            return [found[str(i)] for i in range(len(texts))]
+        except subprocess.CalledProcessError as e:
+            raise Failed(f"exit code {e.returncode}: {e.stderr.strip()[:800]}") from e
+        except (OSError, subprocess.TimeoutExpired) as e:
+            raise Failed(str(e)) from e
+        except (ValueError, TypeError, KeyError) as e:
+            raise Failed(f"not one line with id and vector for each text: {e!r}") from e
+
+    return ask
+
+
+def checked(vectors: list[list[float]], count: int, dim: int) -> list[list[float]]:
+    if len(vectors) != count or any(len(v) != dim for v in vectors):
+        raise Failed(f"{count} vectors of {dim} numbers were wanted")
+    return vectors
+
+
+def embed_query(query: str, embedder: Callable[[list[str]], list[list[float]]] | None = None, dim: int = DIM, prefix: str = "") -> list[float]:
+    """The vector of a query: its own prefix, no heading."""
+    return checked((embedder or (lambda texts: [hash_vector(x, dim) for x in texts]))([prefix + query]), 1, dim)[0]
+
+
+def pack_vector(values: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats."""
+    return values.map(lambda v: np.asarray(v, "<f4").tobytes())
+
+
+def unpack_vector(values: pd.Series) -> pd.Series:
+    return values.map(lambda b: np.frombuffer(b, "<f4").tolist())
 
 
 def hash_vector(text: str, dim: int = DIM) -> list[float]:
@@ -34,9 +80,7 @@ def embed(chunks: DataFrame, embeddings: DataFrame, embedder: Callable[[list[str
         for frame in batches:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                vectors = embedder(part["input"].tolist())
-                if len(vectors) != len(part) or any(len(v) != dim for v in vectors):
-                    raise ValueError(f"the embedder must give one vector of {dim} numbers for each text")
+                vectors = checked(embedder(part["input"].tolist()), len(part), dim)
                 yield pd.DataFrame({"embed_sha": part["embed_sha"].to_numpy(), "model": model, "dim": dim, "vec": vectors})
 
     need = missing_embeddings(chunks, embeddings).select("embed_sha", "input")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Extensions of documents that links may spell out.
+FILE = re.compile(r"\.(md|markdown|db)$")
+
+
 def basename(path: Column | str) -> Column:
     return F.regexp_replace(path, r"^.*/", "")
 
@@ -24,6 +30,7 @@ def resolve_links(edges: DataFrame, files: DataFrame) -> DataFrame:
     paths = files.select(F.col("path").alias("_p"))
     single = files.groupBy(basename("path").alias("_b")).agg(F.count("*").alias("_n"), F.min("path").alias("_single")).filter("_n = 1").drop("_n")
     alias = files.select("path", F.explode("aliases").alias("_alias")).groupBy("_alias").agg(F.min("path").alias("_by_alias"))
+    alias = alias.filter("_alias is not null")
     rows = rows.join(paths.withColumnRenamed("_p", "_p1"), F.col("_near") == F.col("_p1"), "left")
     rows = rows.join(paths.withColumnRenamed("_p", "_p2"), F.col("_name") == F.col("_p2"), "left")
     rows = rows.withColumn("_base", basename("_name")).join(single, F.col("_base") == F.col("_b"), "left")
@@ -49,19 +56,37 @@ def orphans(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.select("path").join(edges.select(F.col("target_path").alias("path")), "path", "left_anti")
 
 
-def rewrite_links(text: str, raws: list[tuple[int, str]], old: str, new: str) -> str:
-    """Point the links (line, raw) of a text from one path to another, as they were spelt."""
+def rewrite_links(text: str, raws: list[tuple[int, str]], new: str) -> str:
+    """Point the links (line, raw) of a text to another path; extension, anchor and shown text stay as they were spelt."""
+    from .markdown import links
+
     lines = text.split("\n")
-    for line, raw in raws:
-        for name in (old, old.removesuffix(".md"), old.rpartition("/")[2], old.rpartition("/")[2].removesuffix(".md")):
-            if name and name in raw:
-                to = new if "/" in name or "/" not in old else new.rpartition("/")[2]
-                to = to if name.endswith(".md") else to.removesuffix(".md")
-                lines[line - 1] = lines[line - 1].replace(raw, raw.replace(name, to, 1), 1)
-                break
+    for number, raw in raws:
+        if not 0 < number <= len(lines) or not (found := links(raw)):
+            continue
+        link = found[0]
+        spelt = new if FILE.search(link["target"].lower()) or not new.lower().endswith(".md") else new[:-3]
+        spelt += f"#{link['anchor']}" if link["anchor"] else ""
+        if link["kind"] == "wiki":
+            to = f"[[{spelt}|{link['alias']}]]" if link["alias"] else f"[[{spelt}]]"
+        else:
+            to = f"[{link['alias'] or ''}]({spelt})"
+        lines[number - 1] = lines[number - 1].replace(raw, to, 1)
     return "\n".join(lines)
 
 
+class Linked(Exception):
+    """Documents link to what was to be removed."""
+
+
+def refuse_linked(edges: DataFrame, path: str, force: bool = False, shown: int = 5) -> None:
+    """Raise Linked, with up to ``shown`` sources, if other documents link to a path."""
+    sources = [] if force else [r["src"] for r in backlinks(edges, path).select("src").distinct().orderBy("src").limit(shown + 1).collect()]
+    if sources:
+        more = " and more" if len(sources) > shown else ""
+        raise Linked(f"{path} is linked from {', '.join(sources[:shown])}{more}")
+
+
 def doctor(files: DataFrame, edges: DataFrame, headings: DataFrame, chunks: DataFrame, embeddings: DataFrame, dim: int = 384) -> DataFrame:
     """(category, item): broken and ambiguous links, orphans, duplicate headings, dirty chunks, and
     embeddings that nothing needs or whose dimension is wrong."""

@@ -66,14 +66,18 @@ def sync_diff(registry: DataFrame, disk: DataFrame, key: str = "path") -> DataFr
     return r.join(d, F.col(f"r.{key}") == F.col(f"d.{key}"), "full").select(F.coalesce(f"r.{key}", f"d.{key}").alias(key), status.alias("status"))
 
 
-def embed_sha(text: Column, heading: Column | None = None, model: str = "hash", prefix: str = "") -> Column:
-    """Hash of the exact embedder input: heading path and body, never the file's path."""
+def embed_input(text: Column, heading: Column | None = None, prefix: str = "") -> Column:
+    """What an embedder is given: heading path and body, never the file's path."""
     body = F.btrim(text, F.lit(" \t\n\r"))
-    given = F.concat(F.lit(prefix), body)
-    if heading is not None:
-        head = F.replace(heading, F.lit("/"), F.lit(" > "))
-        given = F.when(head == "", given).otherwise(F.concat(F.lit(prefix), head, F.lit("\n\n"), body))
-    return F.sha2(F.concat(F.lit(model + "\n"), given), 256)
+    if heading is None:
+        return F.concat(F.lit(prefix), body)
+    head = F.replace(heading, F.lit("/"), F.lit(" > "))
+    return F.when(head == "", F.concat(F.lit(prefix), body)).otherwise(F.concat(F.lit(prefix), head, F.lit("\n\n"), body))
+
+
+def embed_sha(text: Column, heading: Column | None = None, model: str = "hash", prefix: str = "") -> Column:
+    """Hash of the model and the exact embedder input."""
+    return F.sha2(F.concat(F.lit(model + "\n"), embed_input(text, heading, prefix)), 256)
 
 
 def missing_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

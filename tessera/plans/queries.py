@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from ..functions import text as T
 from ..operators import graph, history, markdown, search
 from .sql import asof_join, range_join
 
+TABLES = set("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -253,7 +255,42 @@ def sql_aggregate(spark, d):
 JOIN_SQL = """SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name"""
 SEMI_SQL = "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)"
-ANTI_SQL = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+ANTI_SQL = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
+OUTER_SQL = """SELECT n_nationkey, n_name, s_suppkey, s_name FROM nation FULL JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000"""
+CROSS_SQL = "SELECT r_name, n_name FROM region CROSS JOIN nation"
+ROLLUP_SQL = "SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)"
+GROUPING_SQL = "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"
+HAVING_SQL = "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 ORDER BY n DESC, o_custkey LIMIT 50"
+LATERAL_SQL = """SELECT r_name, x.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) x"""
+LISTAGG_SQL = "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"
+LISTAGG_SPARK = "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"
+QUALIFY_SQL = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"
+QUALIFY_SPARK = """SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r
+FROM orders) WHERE r = 1"""
+EXCEPT_SQL = "SELECT * EXCLUDE (c_acctbal) FROM customer"
+EXCEPT_SPARK = "SELECT * EXCEPT (c_acctbal) FROM customer"
+DISTINCT_ON_SQL = "SELECT DISTINCT ON (s_nationkey) s_nationkey, s_suppkey, s_acctbal FROM supplier ORDER BY s_nationkey, s_acctbal DESC, s_suppkey"
+DISTINCT_ON_SPARK = """SELECT s_nationkey, max_by(s_suppkey, struct(s_acctbal, -s_suppkey)) AS s_suppkey, max(s_acctbal) AS s_acctbal FROM supplier GROUP BY s_nationkey"""
+RANGE_SQL = "SELECT range AS id, range * range AS squared FROM range(1000)"
+RANGE_SPARK = "SELECT id, id * id AS squared FROM range(1000)"
+UNPIVOT_SQL = """SELECT p_partkey, measure, value FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) UNPIVOT (value FOR measure IN (p_size, p_retailprice))"""
+SUMMARY_SQL = """SELECT 'l_quantity' AS name, count(l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean, round(stddev(l_quantity), 6) AS deviation,
+approx_count_distinct(l_linenumber) BETWEEN 6 AND 8 AS near_seven FROM lineitem"""
+QUANTILES_SQL = """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS middle, abs(approx_quantile(l_quantity, 0.5) - 25) <= 2 AS near_middle FROM lineitem GROUP BY l_returnflag"""
+QUANTILES_SPARK = """SELECT l_returnflag, percentile(l_extendedprice, 0.5) AS middle, abs(percentile_approx(l_quantity, 0.5) - 25) <= 2 AS near_middle FROM lineitem GROUP BY l_returnflag"""
+SETS_ALL_SQL = "(SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)"
+ANALYTIC_SQL = """SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER w AS q, lag(o_totalprice) OVER w AS before, lead(o_totalprice, 2, 0.0) OVER w AS later,
+first_value(o_orderkey) OVER w AS first_key, round(percent_rank() OVER w, 9) AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+SCALARS_SQL = """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate) AS begun, upper(substr(o_orderpriority, 3)) AS word, abs(round(o_totalprice) - o_totalprice) AS off,
+greatest(o_custkey, 100) AS g, coalesce(nullif(o_orderstatus, 'O'), 'open') AS status, lpad(CAST(o_custkey AS VARCHAR(20)), 8, '0') AS padded FROM orders"""
+SCALARS_SPARK = SCALARS_SQL
+NESTED_SQL = """SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS lines, len(list(l_linenumber)) AS n FROM lineitem GROUP BY l_orderkey"""
+NESTED_SPARK = """SELECT l_orderkey, array_sort(collect_set(l_linenumber)) AS lines, CAST(size(collect_list(l_linenumber)) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey"""
+MAP_SQL = """SELECT o_orderstatus, element_at(map_from_entries(list((o_orderpriority, n) ORDER BY o_orderpriority)), '2-HIGH')[1] AS high FROM
+(SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus"""
+MAP_SPARK = """SELECT o_orderstatus, element_at(map_from_entries(collect_list(struct(o_orderpriority, n))), '2-HIGH') AS high FROM
+(SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus"""
+THETA_SQL = """SELECT r_name, count(*) AS n FROM region JOIN nation ON n_nationkey > r_regionkey * 4 GROUP BY r_name"""
 CUBE_SQL = "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus) AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"
 SETS_SQL = "(SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)"
 WINDOW_SQL = """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r,
@@ -263,26 +300,28 @@ TREE_SQL = """WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHE
 QUANTILE_SQL = "SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi, count(DISTINCT l_suppkey) AS suppliers, sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS taxed FROM lineitem GROUP BY l_returnflag"
 
 
-def _delegated(name: str, sql: str) -> None:
-    import re
+def _delegated(name: str, sql: str, spoken: str | None = None) -> None:
+    """One statement for both engines, or Spark's own words for it; tables are named by their files, not by views."""
+    names = sorted(set(re.findall(r"(?:FROM|JOIN) (\w+)\b", spoken or sql)) & TABLES)
 
     def run(spark, d):
-        spoken = sql
-        for t in sorted(set(re.findall(r"(?:FROM|JOIN) (\w+)\b", sql)) - {"t"}):
-            view = f"{t}_{abs(hash((d, t)))}"
-            table(spark, d, t).createOrReplaceTempView(view)
-            spoken = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {view}", spoken)
-        return spark.sql(spoken)
+        statement = spoken or sql
+        for t in names:
+            statement = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", statement)
+        return spark.sql(statement, **{t: table(spark, d, t) for t in names})
 
     run.__name__ = name
     QUERIES[name], SQL[name] = run, sql
 
 
-for _name, _sql in (
+for _name, *_sql in (
     ("sql_join", JOIN_SQL), ("sql_semi", SEMI_SQL), ("sql_anti", ANTI_SQL), ("sql_cube", CUBE_SQL), ("sql_sets", SETS_SQL), ("sql_window", WINDOW_SQL),
-    ("sql_recursive", TREE_SQL), ("sql_filtered", QUANTILE_SQL),
+    ("sql_recursive", TREE_SQL), ("sql_filtered", QUANTILE_SQL), ("sql_outer", OUTER_SQL), ("sql_cross", CROSS_SQL), ("sql_rollup", ROLLUP_SQL), ("sql_grouping_sets", GROUPING_SQL),
+    ("sql_having_topk", HAVING_SQL), ("sql_lateral", LATERAL_SQL), ("sql_listagg", LISTAGG_SQL, LISTAGG_SPARK), ("sql_qualify", QUALIFY_SQL, QUALIFY_SPARK), ("sql_except_columns", EXCEPT_SQL, EXCEPT_SPARK),
+    ("sql_distinct_on", DISTINCT_ON_SQL, DISTINCT_ON_SPARK), ("sql_range", RANGE_SQL, RANGE_SPARK), ("sql_unpivot", UNPIVOT_SQL), ("sql_summary", SUMMARY_SQL), ("sql_quantiles", QUANTILES_SQL, QUANTILES_SPARK),
+    ("sql_sets_all", SETS_ALL_SQL), ("sql_analytic", ANALYTIC_SQL), ("sql_scalars", SCALARS_SQL, SCALARS_SPARK), ("sql_nested", NESTED_SQL, NESTED_SPARK), ("sql_maps", MAP_SQL, MAP_SPARK), ("sql_theta_join", THETA_SQL),
 ):
-    _delegated(_name, _sql)
+    _delegated(_name, *_sql)
 
 
 @query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'click')
@@ -310,27 +349,3 @@ def sql_pivot(spark, d):
 
 def workspace(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(WORKSPACE.items()), "path string, text string")
-
-
-@query()
-def md_headings(spark, d):
-    return markdown.heading_rows(markdown.parse(workspace(spark)))
-
-
-@query()
-def md_links(spark, d):
-    parsed = markdown.parse(workspace(spark))
-    files = parsed.select("path", F.array("title").alias("aliases"))
-    return graph.resolve_links(markdown.link_rows(parsed), files)
-
-
-@query()
-def md_chunks(spark, d):
-    return markdown.chunk_rows(markdown.parse(workspace(spark)))
-
-
-@query()
-def doc_chunks(spark, d):
-    """Chunks of every document of the table."""
-    docs = table(spark, d, "documents").select(F.concat("doc_id", F.lit(".md")).alias("path"), "text")
-    return markdown.chunk_rows(markdown.parse(docs)).drop("text")

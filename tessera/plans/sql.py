@@ -20,10 +20,13 @@ class Result:
 def run_sql(spark: SparkSession, statement: str, limit: int = AUTO_LIMIT) -> Result:
     """Run a statement; of a longer result the first ``limit`` rows and its size.
 
+    A longer result is counted in a second run, which Catalyst plans without its columns and order.
     What the statement returns decides, not its first word; a statement's own LIMIT counts as is.
     """
     df = spark.sql(statement)
-    rows = df.limit(limit + 1).collect() if df.columns else []
+    if not df.columns:
+        return Result([], [], None)
+    rows = df.limit(limit + 1).collect()
     return Result(df.columns, [tuple(r) for r in rows[:limit]], df.count() if len(rows) > limit else None)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..functions.text import glob_regex, kind
+from ..functions.text import glob_regex, has_tags, kind
 
 INCLUDE, PRUNE = ("**/*.md", "**/*.markdown", "**/*.db", "**/*.duckdb"), (".git", "node_modules", ".tessera")
 RESERVED = "tessera_index"
@@ -59,8 +59,35 @@ def import_csv(spark: SparkSession, csv: str, database: str, table: str) -> int:
     return spark.table(f"{database}.{table}").count()
 
 
-def export_csv(spark: SparkSession, database: str, table: str, to: str) -> None:
-    spark.table(f"{database}.{table}").write.mode("overwrite").option("header", True).csv(to)
+def export_csv(spark: SparkSession, database: str, table: str, to: str, single: bool = False) -> None:
+    """A table as CSV with a header: part files in a folder, or one file (written by one task, for tables that a reader opens)."""
+    rows = spark.table(f"{database}.{table}")
+    if not single:
+        rows.write.mode("overwrite").option("header", True).csv(to)
+        return
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{to}.parts")
+    Path, jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    files = Path(to).getFileSystem(jvm)
+    part = next(f.getPath() for f in files.listStatus(Path(f"{to}.parts")) if f.getPath().getName().startswith("part-"))
+    files.delete(Path(to), True)
+    files.rename(part, Path(to))
+    files.delete(Path(f"{to}.parts"), True)
+
+
+def to_json(rows: DataFrame) -> DataFrame:
+    """One JSON document for each row, nulls included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def ls(files: DataFrame, glob: str | None = None, of_kind: str | None = None, tags: list[str] = (), sort: str = "path") -> DataFrame:
+    """Files that fit a glob, a kind and all of the tags; by path, newest first (mtime) or largest first (size)."""
+    if glob:
+        files = files.filter(F.col("path").rlike(glob_regex(glob)))
+    if of_kind:
+        files = files.filter(F.col("kind") == of_kind)
+    if tags:
+        files = files.filter(has_tags("tags", list(tags)))
+    return files.orderBy(*([F.desc(sort)] if sort != "path" else []), "path")
 
 
 def create_database(spark: SparkSession, name: str) -> None:
@@ -80,6 +107,7 @@ def catalog(spark: SparkSession, database: str) -> DataFrame:
     rows = [
         (t.name, spark.table(f"{database}.{t.name}").count(), [(c.name, c.dataType) for c in spark.catalog.listColumns(t.name, database)])
         for t in spark.catalog.listTables(database)
+        if not t.isTemporary  # views of the session belong to no database
     ]
     return spark.createDataFrame(rows, "table_name string, row_count long, columns array<struct<name:string,type:string>>").orderBy("table_name")
 

@@ -67,7 +67,7 @@ def test_link_resolution_order(spark):
     assert [r["target_path"] for r in got.orderBy("line").collect()] == ["x/a.md", "a.md", "y/only.md", None, "a.md", "a.md"]
     assert {r["path"] for r in graph.orphans(files, got).collect()} == {"p/two.md", "q/two.md"}
     assert [r["src"] for r in graph.backlinks(got, "a.md").collect()] == ["s.md", "s.md"]
-    assert graph.rewrite_links("see [[a|A]] and [[a]]", [(1, "[[a]]")], "a.md", "b.md") == "see [[a|A]] and [[b]]"
+    assert graph.rewrite_links("see [[a|A]] and [[a]]", [(1, "[[a]]")], "b.md") == "see [[a|A]] and [[b]]"
 
 
 def test_bm25_against_fts5(spark):
@@ -76,7 +76,7 @@ def test_bm25_against_fts5(spark):
     con.execute("CREATE VIRTUAL TABLE f USING fts5(t)")
     con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(texts)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for query in ("cat", "the", "foo_bar", "the dog", "eclair"):
+    for query in ("cat", "the", "foo_bar", "the dog", "eclair", "the_the", "foo_bar_cat"):
         match = " ".join(f'"{w}"' for w in query.split())
         want = sorted((i, round(s, 6)) for i, s in con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,)))
         got = sorted((r["doc_id"], r["score"]) for r in search.bm25(docs, query).collect())
@@ -84,6 +84,14 @@ def test_bm25_against_fts5(spark):
         assert [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=2e-6), query
 
 
+def test_grep_looks_at_lines(spark):
+    docs = spark.createDataFrame([(1, "abc\nxyz"), (2, "no"), (3, None)], "doc_id long, text string")
+    for pattern in ("xyz", r"(?<!\s)xyz", r"\Axyz", "^xyz$", r"xyz\Z", r"\bxyz\b"):
+        assert [(r[0], r[1]) for r in search.grep(docs, pattern).collect()] == [(1, 2)], pattern
+    assert search.capped(search.grep(docs, "."), 1)[1] is True
+    assert [r["line"] for r in search.grep(docs, "xyz", context=1).orderBy("line").collect()] == [1, 2]
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.0]), (3, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r[0], r[1]) for r in search.cosine(rows, [1.0, 0.0], 4).collect()] == [(0, 1.0), (3, 1.0), (1, -1.0), (2, -1.0)]

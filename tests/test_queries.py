@@ -1,5 +1,6 @@
 import pytest
 
+from tessera.plans import documents  # noqa: F401 - registers its queries
 from tessera.plans.queries import QUERIES, SQL
 
 from .oracle import connect, same
