@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (tests, a single machine).
+#: Where intermediate tables go if a session on a single machine names no shared folder (tests).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tessera"
 #: Bytes of text that a numpy step holds at once.
 SLICE_BYTES = 1 << 20
@@ -25,8 +25,10 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; a default is set only where they are one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         spark.conf.set("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
         found = LOCAL_CHECKPOINTS
@@ -182,8 +184,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of the undirected edges (a, b); component is the smallest id.
 
     Alternating stars: every round hooks each node's neighbours to the least node it knows, so the
-    depth halves.  A node's neighbours are never gathered; only minima and joins are used.  Nulls
-    and loops in edges are ignored.
+    depth halves.  A node's neighbours are never gathered; only minima and joins are used, and the
+    links of a node with many of them are dealt over parts.  Nulls and loops in edges are ignored.
+    Every round is written and read again, so components are made while the query is built.
     """
     links = edges.filter("a is not null and b is not null and a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -191,17 +194,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links, before = materialize(links, "links"), None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_spread(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.filter("u != v").distinct(), "large")
+        small_least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_spread(large, small_least, ["u"], "n")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))
         ).filter("u != v").distinct()
         after = materialize(small, "links")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(links)
+        for done in (links, least, large, small_least):
+            release(done)
         links = after
         if now == before:
             break
