@@ -285,30 +285,48 @@ def test_passage_within_a_document(spark):
     assert 120 <= next(r["n_dup_words"] for r in rows if r["doc_id"] == 0) <= 150
 
 
-def test_passage_recall():
-    """Pairs of passages of similarity 0.8 or a little more, by brute force, in other surroundings."""
-    rng, texts, pairs = random.Random(5), [], 0
+@pytest.mark.parametrize("n", [50, 60, 100, 200])
+def test_passage_recall(n):
+    """Pairs of passages of similarity 0.8 or a little more, by brute force, in other surroundings: all are found."""
+    rng, texts, pairs = random.Random(n), [], 0
     words = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
-    while pairs < 400:
-        x = words(rng.randrange(50, 60))
+    while pairs < 100:
+        x = words(rng.randrange(n, n + 10))
         y = list(x)
-        for e in rng.sample(range(len(x)), rng.randrange(1, 4)):
-            y[e] = words(1)[0]
+        for _ in range(rng.randrange(1, n // 40 + 2)):
+            e = rng.randrange(len(y))
+            y[e : e + rng.randrange(2)] = words(rng.randrange(2))
         one, other = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
-        if 0.8 <= len(one & other) / len(one | other) < 0.85:
+        if len(y) >= 50 and 0.8 <= len(one & other) / len(one | other) < 0.88:
             texts += [" ".join(words(80) + t + words(80)) for t in (x, y)]
             pairs += 1
     ids = list(range(len(texts)))
     rows = passages._windows()({"text": texts, "k1": ids, "k2": ids})
     at = {}
-    for k, key, place in zip(*(np.asarray(rows[c]).tolist() for c in ("k1", "key", "at")), strict=True):
-        at.setdefault(k, {}).setdefault(key, []).append(place)
+    for k, key, place, reach in zip(*(np.asarray(rows[c]).tolist() for c in ("k1", "key", "at", "reach")), strict=True):
+        at.setdefault(k, {}).setdefault(key, []).append((place, *divmod(reach, passages.RUN)))
     hashed = [passages.shingles(t) for t in texts]
-    found = 0
     for i in ids[::2]:
         places = [(a, b) for key in at[i].keys() & at[i + 1].keys() for a in at[i][key] for b in at[i + 1][key]]
-        found += any(passages.best_match(hashed[i], a, hashed[i + 1], b) for a, b in places)
-    assert found >= pairs - 2, found
+        joined = [(a[0], b[0]) for a, b in places if min(a[1], b[1]) + min(a[2], b[2]) >= passages.RUN - 1]
+        assert any(passages.best_match(hashed[i], a, hashed[i + 1], b) for a, b in joined), i
+
+
+def test_surroundings():
+    """Windows with passages alike share as many other shingles as is said, or all of them 0."""
+    rng = random.Random(3)
+    for _ in range(60):
+        x = [f"w{rng.randrange(rng.choice((3, 30, 10**6)))}" for _ in range(150)]
+        y = list(x)
+        y[rng.randrange(150)] = "changed"
+        hx, hy = passages.shingles(" ".join(x)), passages.shingles(" ".join(y))
+        names, till = passages.tokens(hx, np.array([len(hx)]), np.array([0]))
+        others, _ = passages.tokens(hy, np.array([len(hy)]), np.array([0]))
+        for a in range(0, int(till[0]), 7):
+            for b in np.flatnonzero(others[: int(till[0])] == names[a])[:2]:
+                if passages.best_match(hx, a, hy, int(b)):
+                    (m, one), (n, other) = passages.surroundings(hx, a), passages.surroundings(hy, int(b))
+                    assert len(np.intersect1d(one, other)) >= min(m, n)
 
 
 def test_compact_windows():
