@@ -26,6 +26,8 @@ from pyspark.sql.types import BinaryType, StructType
 from .common import U64, arrow_schema, hash_between, join_spread, map_texts, materialize, prefix_sums, read_table, release, window_hashes
 
 LENGTH, GRAM, WINDOW = 400, 32, 128
+#: Bytes that any passage of 50 words has if its words are of three letters on average; English and French ones have five or so.
+PASSAGE_BYTES = 200
 #: Starts of a text that are looked at together; longer texts are cut into runs of starts.
 RUN = 1 << 18
 #: Different anchors under one key that go to one suffix array; a key with more is parted by its starts'
@@ -318,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     wholes = materialize(wholes, "wholes")
     kinds = materialize(wholes.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     open_ones = join_spread(wholes, kinds, ["key"], "kinds").select("key", "g1", "g2", (F.col("kinds") > crowd).alias("crowded"), "at.*")
-    wanted = open_ones.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "g1", "g2", "crowded", "first", "last", "deep")).alias("wanted"))
+    wanted = open_ones.groupBy("k1", "k2").agg(F.collect_set(F.struct("key", "g1", "g2", "crowded", "first", "last", "deep")).alias("wanted"))
     once = long_ones.select("k1", "k2", press("text").alias("z"))
     pieces = materialize(once.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(_cut(length, arrow_schema(spark, PIECES)), PIECES), "pieces")
 
@@ -355,7 +357,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ca
     spans = marked.select("k1", "k2", "first", F.explode(F.coalesce("runs", whole)).alias("r")).select(
         "k1", "k2", F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b")).alias("b")).alias("s")
     )
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list("s").alias("starts"))
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("starts"))  # a set, as repeated rows have the same spans
     spans = materialize(spans, "starts")
     for done in (*kept, runs, marks, wholes, hits):
         release(done)
@@ -376,8 +378,12 @@ def _whole_characters(kept: pd.Series, starts: pd.Series, ends: pd.Series) -> pd
     return pd.Series(out, dtype=object)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the bytes of repeated strings taken out of text; a character cut in two goes whole."""
+def without_repeats(docs: DataFrame, length: int = PASSAGE_BYTES) -> DataFrame:
+    """docs with the bytes of repeated strings taken out of text; a character cut in two goes whole.
+
+    Strings have PASSAGE_BYTES, so that passages of 50 words go wherever they repeat.  All rows stay,
+    also those of which nothing is left; null texts become empty; see remove_repeats() for odd cases.
+    """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     decoded = F.pandas_udf(_whole_characters, "string")
     out = remove_repeats(docs, length, carry=others).withColumn("text", decoded("kept", "spans.start", "spans.end"))
