@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, map_texts, materialize, read_table, window_hashes
+from .common import join_spread, map_texts, materialize, read_table, U64, window_hashes
 
 #: A cut falls where the hash of the last WINDOW bytes has CUT_BITS zero bits: 2048 bytes on average.
 WINDOW, CUT_BITS = 32, 11
@@ -114,7 +114,8 @@ def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     groups = recipes.groupBy("recipe", "apart").agg(
         F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size")
     )
-    return recipes.join(groups, ["recipe", "apart"]).select(
+    # a text that a third of all rows have is dealt over parts
+    return join_spread(recipes, materialize(groups, "groups"), ["recipe", "apart"], "group_size").select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"),
         "text_sha256",
     )
