@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_schema, connected_components, map_texts, materialize, read_table
+from .common import U64, arrow_schema, connected_components, join_spread, map_texts, materialize, read_table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: A bucket of more fingerprints is dealt out again by its remaining bits.
 BUCKET = 1 << 14
+#: Full buckets up to which their list is broadcast; more of them are joined by a shuffle.
+MARKS = 50_000
 #: Comparisons of one fingerprint with one block of 64 that run side by side.
 TASKS = 1 << 15
 ONE = U64(1)
@@ -53,6 +55,11 @@ def _fingerprints() -> Callable[[dict], dict]:
     return step
 
 
+def _hashed_fingerprints() -> Callable[[dict], dict]:
+    step = _fingerprints()
+    return lambda rows: step(rows) | {"h": rows["h"]}
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each document, fp being the 64 bits as a signed long."""
     return map_texts(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), _fingerprints, "doc_id long, fp long")
@@ -208,7 +215,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
         if full.filter(splits).isEmpty():
             break
         marks = full.filter(splits).select("t", "part", "key", F.lit(True).alias("over"))
-        marked = rows.join(F.broadcast(marks), ["t", "part", "key"], "left")  # at most rows / bucket of them
+        few = marks.count() <= MARKS
+        marked = rows.join(F.broadcast(marks) if few else marks.hint("merge"), ["t", "part", "key"], "left")
         calm = marked.filter("over is null").drop("over")
         done = calm if done is None else done.unionByName(calm)
         over = marked.filter("over").withColumn("step", F.ceil((64 - F.col("used")) / (radius + 1)).cast("int"))
@@ -235,30 +243,47 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint and component of each document; fingerprints link at ``radius`` or fewer bits.
 
-    Equal fingerprints are one node from the start (the smallest doc_id that has it), so copies are
-    never compared with each other.  Distinct fingerprints meet in buckets and are compared
-    bit-sliced; within a bucket only enough links to connect it are kept, and components are found
-    by distributed alternating stars.  Null, empty and blank texts have fingerprint zero and are
+    Equal fingerprints are one node from the start, so copies are never compared with each other.
+    Distinct fingerprints meet in buckets and are compared bit-sliced; within a bucket only enough
+    links to connect it are kept, and components are found by distributed alternating stars.  Null, empty and blank texts have fingerprint zero and are
     linked like any other; a null doc_id keeps its row (component of its fingerprint; null if no row
     there has an id); repeated rows give repeated rows; an empty table gives none; further columns
     are dropped.
     """
-    prints = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    found = connected_components(links(nodes.filter("id is not null"), radius))
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select(
+    return _components(fingerprints(docs), radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _components(found: DataFrame, radius: int) -> DataFrame:
+    """found (doc_id, fp, ...) with component_id and a label of its own for each component; written tables are made while the query is built."""
+    prints = materialize(found, "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "nodes")
+    # fingerprints are the nodes, so that two texts under one doc_id are no link between theirs
+    linked = connected_components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius)).withColumnRenamed("id", "fp")
+    labelled = materialize(nodes.join(linked, "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component"), "labelled")
+    least = materialize(labelled.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("m")), "least")
+    named = join_spread(labelled, least, ["label"], "m").select("fp", "n", "label", "component_id")
+    return join_spread(prints, materialize(named, "named"), ["fp"], "n").drop("n")
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that are the first, by doc_id, of their component, with all their columns.
 
-    Rows without an id cannot be named as the first and stay.
+    Of rows that share the first doc_id one stays, by a hash of the text.  Rows without an id cannot
+    be named as the first and stay.  Null and empty texts are documents like any other (fingerprint
+    zero); texts are read whole; an empty table gives no rows.
     """
-    first = simhash_components(docs, radius).select(F.col("component_id").alias("doc_id")).distinct()
-    return docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    known = docs.filter("doc_id is not null")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    given = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash.alias("h"))
+    prints = map_texts(given, _hashed_fingerprints, "doc_id long, h long, fp long")
+    first = _components(prints, radius).groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("x.*")
+    first = materialize(first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "first")
+    kept = known.join(first, (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_h")), "left_semi")
+    if not known.groupBy("doc_id", text_hash.alias("_h")).count().filter("count > 1").isEmpty():  # rows that repeat as a whole
+        kept = kept.withColumn("_h", text_hash).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def op7_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
