@@ -21,8 +21,8 @@ from .tokenizing import byte_alphabet, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length are ranked in so many separate groups, so that a common length is no hot key.
-SALTS = 64
+#: A length with more pieces is ranked in parts of so many, and in no more parts than GROUPS for all lengths.
+PART, GROUPS = 1 << 16, 100_000
 #: Entries of a task's word cache; a full cache keeps the words of the text at hand.
 CACHE_WORDS = 800_000
 #: The word pattern of the tokenizer file, without white space (fixed value).
@@ -227,11 +227,18 @@ class Slots:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces, by a plan made on the histogram of their lengths.
 
-    The driver sees one count for each length and salt, at most capacity * SALTS numbers, and the
-    plan, which has about as many patterns as there are lengths.  Pieces get their rank among those
-    of their length and salt in windows of at most about 1/SALTS of a length's pieces.
+    The driver sees one count for each length and part, at most GROUPS + capacity numbers, and the
+    plan, which has about as many patterns as there are lengths.  A length with many pieces is dealt
+    over parts of about PART pieces, in which they get their ranks.  Pieces as long as a sequence are
+    one each, wherever they are, and are not moved.
     """
-    table = materialize(cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
+    whole = materialize(cut.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    sizes = {r["length"]: r["n"] for r in whole.filter(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    each = max(PART, -(-sum(sizes.values()) // GROUPS))
+    parts = F.lit(1)
+    if many := {k: -(-n // each) for k, n in sizes.items() if n > each}:
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("length").cast("int")), F.lit(1))
+    table = whole.filter(F.col("length") < capacity).withColumn("_salt", F.pmod(F.xxhash64("_n"), parts).cast("int")).drop("_n")
     counts = {(r["length"], r["_salt"]): r["n"] for r in table.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()}
     histogram: dict[int, int] = {}
     first: dict[tuple[int, int], int] = {}
@@ -262,7 +269,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     dealt = table.repartition("length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(place, schema)
+    full = whole.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("_n"), "offset": F.lit(0).cast("long")})
+    return dealt.mapInArrow(place, schema).unionByName(full.select(*kinds.names))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
