@@ -17,8 +17,11 @@ from .language import fold, sampled, words_of
 SAMPLE_TOXIC, SAMPLE_UNLABELLED, SAMPLE_CHARS = 1500, 6000, 20_000
 #: Bounds of the vocabulary: words, and toxic texts that a word must be in.
 VOCABULARY, LEAST_TEXTS = 1000, 5
-#: How far (in standard errors) a word's rate in toxic texts must differ from that in unlabelled ones.
-DISTINCT = 5.0
+#: How far (in standard errors) a word's rate in toxic texts may have to differ from that in unlabelled
+#: ones; train() takes what has the least risk on texts that were left out, VALIDATION times.
+DISTINCT, VALIDATION, TRIAL_STEPS = (3.0, 4.0, 5.0, 6.0), 3, 150
+#: Bounds of the class prior: the logarithm of its odds is where the bias starts.
+PRIOR = (1e-3, 0.5)
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -54,47 +57,86 @@ def matrix(texts: list[set[bytes]], index: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def train(toxic: list[str], unlabelled: list[str], prior: float, steps: int = 800, rate: float = 0.05) -> Toxicity:
-    """Minimise the non-negative risk estimate of Kiryo et al. with the logistic loss, by Adam.
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The non-negative risk estimate with the logistic loss, from values of toxic and of unlabelled texts."""
+    return float(prior * np.logaddexp(0, -fp).mean() + max(0.0, np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()))
 
-    With p the class prior, unlabelled texts are a mix of p toxic and 1 - p clean ones, so the risk
-    on clean texts is U(-) - p P(-).  Where that turns negative (which no risk can be), the
-    step instead goes back up along it.
+
+def slope_at(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:
+    """The gradient of the part of the risk that a step goes along, and whether the risk on clean texts is not negative.
+
+    If it is not, that is the whole risk's gradient; else it is that of the negative part, turned round.
     """
-    if not toxic or not unlabelled:
-        return Toxicity([], np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))) if prior else -30.0)
-    bags = [[bag(x) for x in texts] for texts in (toxic, unlabelled)]
+    narrow = theta.astype(np.float32)
+    fp, fu = xp @ narrow[:-1] + theta[-1], xu @ narrow[:-1] + theta[-1]
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+
+    def gradient(x: np.ndarray, each: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ each.astype(np.float32), each.sum()) / len(each)
+
+    clean = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    slope = gradient(xu, su) - prior * gradient(xp, sp)
+    return (prior * gradient(xp, sp - 1) + slope if clean >= 0 else -slope), bool(clean >= 0)
+
+
+def descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, rate: float) -> np.ndarray:
+    """Weights and bias after so many steps of Adam."""
+    theta = np.zeros(xp.shape[1] + 1)
+    theta[-1] = np.log(prior / (1 - prior))
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        slope, _ = slope_at(theta, xp, xu, prior)
+        slope[:-1] += 1e-4 * theta[:-1]
+        first = 0.9 * first + 0.1 * slope
+        second = 0.999 * second + 0.001 * slope**2
+        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def vocabulary(bags: list[list[set[bytes]]], distinct: float) -> list[bytes]:
+    """Words of toxic texts whose rates there and in unlabelled texts differ by so many standard errors."""
     positive, rest = (Counter(w for words in x for w in words) for x in bags)
-    n, m = len(toxic), len(unlabelled)
+    n, m = len(bags[0]), len(bags[1])
     gain = {}
     for w, c in positive.items():
         if c >= min(LEAST_TEXTS, max(1, n // 10)):
             a, b = c / n, rest[w] / m
             pooled = (c + rest[w]) / (n + m)
             z = (a - b) / np.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n + 1 / m))
-            if abs(z) >= DISTINCT:
+            if abs(z) >= distinct:
                 gain[w] = abs(z)
-    words = sorted(gain, key=lambda w: (-gain[w], w))[:VOCABULARY]
-    index = {w: i for i, w in enumerate(words)}
-    xp, xu = matrix(bags[0], index), matrix(bags[1], index)
-    theta = np.zeros(len(words) + 1)
-    theta[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        narrow = theta.astype(np.float32)
-        fp, fu = xp @ narrow[:-1] + theta[-1], xu @ narrow[:-1] + theta[-1]
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        clean = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return sorted(gain, key=lambda w: (-gain[w], w))[:VOCABULARY]
 
-        def gradient(x: np.ndarray, each: np.ndarray) -> np.ndarray:
-            return np.append(x.T @ each.astype(np.float32), each.sum()) / len(each)
 
-        slope = gradient(xu, su) - prior * gradient(xp, sp)
-        slope = prior * gradient(xp, sp - 1) + slope if clean >= 0 else -slope
-        slope[:-1] += 1e-4 * theta[:-1]
-        first = 0.9 * first + 0.1 * slope
-        second = 0.999 * second + 0.001 * slope**2
-        theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+def validated(bags: list[list[set[bytes]]], prior: float, rate: float) -> float:
+    """The one of DISTINCT whose models have the least risk on the parts of the sample that they were not trained on."""
+    if min(map(len, bags)) < 10 * VALIDATION:
+        return DISTINCT[-2]
+    totals = dict.fromkeys(DISTINCT, 0.0)
+    for part in range(VALIDATION):
+        inside = [[x for i, x in enumerate(b) if i % VALIDATION != part] for b in bags]
+        outside = [b[part::VALIDATION] for b in bags]
+        for distinct in DISTINCT:
+            index = {w: i for i, w in enumerate(vocabulary(inside, distinct))}
+            theta = descend(matrix(inside[0], index), matrix(inside[1], index), prior, TRIAL_STEPS, rate)
+            fp, fu = (matrix(x, index) @ theta[:-1].astype(np.float32) + theta[-1] for x in outside)
+            totals[distinct] += risk(fp, fu, prior)
+    return min(DISTINCT, key=lambda d: (totals[d], d))
+
+
+def train(toxic: list[str], unlabelled: list[str], prior: float, steps: int = 800, rate: float = 0.05) -> Toxicity:
+    """Minimise the non-negative risk estimate of Kiryo et al. with the logistic loss, by Adam.
+
+    With p the class prior, unlabelled texts are a mix of p toxic and 1 - p clean ones, so the risk
+    on clean texts is U(-) - p P(-).  Where that turns negative (which no risk can be), the
+    step instead goes back up along it.
+    """
+    if not toxic or not unlabelled:
+        return Toxicity([], np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))) if prior else -30.0)
+    bags = [[bag(x) for x in texts] for texts in (toxic, unlabelled)]
+    words = vocabulary(bags, validated(bags, prior, rate))
+    index = {w: i for i, w in enumerate(words)}
+    theta = descend(matrix(bags[0], index), matrix(bags[1], index), prior, steps, rate)
     return Toxicity(words, theta[:-1].astype(np.float64), float(theta[-1]))
 
 
@@ -102,12 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> To
     """Train on bounded samples of the folds that are not held out.
 
     Labels give the confirmed toxic documents and the class prior (the toxic share of the labelled
-    documents); unlabelled texts are documents taken without a look at their labels.
+    documents, within PRIOR); unlabelled texts are documents taken without a look at their labels.
     """
     free = fold("doc_id", parts) != held
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & free)
     counts = marks.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
-    prior = min(0.5, max(1e-3, (counts["toxic"] or 0) / counts["n"])) if counts["n"] else 0.0
+    prior = min(PRIOR[1], max(PRIOR[0], (counts["toxic"] or 0) / counts["n"])) if counts["n"] else 0.0
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter(
         free & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)
     )
