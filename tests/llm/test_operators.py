@@ -91,6 +91,14 @@ def test_whole_characters(spark):
     assert suffixes._whole_characters(*([x] for x in (b"".join(pieces), [2], [40]))).tolist() == ["xy"]
 
 
+def test_one_python_operator_a_task(docs):
+    """Each Python operator of a task takes a worker process, so the last step of a stage has just one."""
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for out in (suffixes.without_repeats(d, 40), suffixes.remove_repeats(d, 40)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("ArrowEvalPython|MapInArrow", plan)) == 1, plan
+
+
 def test_suffix_array():
     for n in range(60):
         for top in (1, 2, 200):
