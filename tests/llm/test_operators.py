@@ -284,6 +284,32 @@ def test_passages_not_like_the_first(spark, leads):
     assert [got[i] for i in range(len(texts))] == [*range(12), *[12] * 4, *[16] * 4, *[20] * 4]
 
 
+def test_passages_like_one_that_is_done_with(spark):
+    """x is like all first texts and like z, which is like x alone: each family is one class, by that link."""
+    texts = []
+    for f in range(6):
+        base = [f"b{f}x{i}" for i in range(50)]
+        edited = lambda at: [f"e{f}x{at}" if i == at else w for i, w in enumerate(base)]  # noqa: E731, B023
+        family = [*map(edited, (6, 10, 14, 18, 22, 26)), base, edited(40)]
+        for k, words in enumerate(family):
+            texts.append(" ".join([f"p{f}x{k}x{i}" for i in range(60)] + words + [f"q{f}x{k}x{i}" for i in range(60)]))
+        assert [near(x, family[-1]) for x in family[:-1]] == [False] * 6 + [True]
+    rows = passages.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["class_id"] for r in rows}
+    assert [got[i] for i in range(len(texts))] == [i // 8 * 8 for i in range(len(texts))]
+
+
+def test_copies_and_repeated_ids(spark):
+    """Copies are compared as one text and counted; a link goes to each copy of the other text."""
+    p, words = say(WORDS, 60), lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, alone = f"{words('a', 60)} {p} {words('c', 60)}", f"{words('d', 60)} {p} {words('e', 60)}", words("f", 70)
+    texts = [(3, a), (1, a), (2, b), (5, alone), (5, alone), (6, alone), (7, "short " * 49), (8, "short " * 49), (None, a)]
+    rows = passages.passage_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in rows}
+    assert got == {(3, 1, 2), (1, 1, 2), (2, 1, 2), (5, 5, 1), (6, 5, 1), (7, 7, 0), (8, 8, 0), (None, None, 0)}
+    assert len(rows) == len(texts) and next(r["n_dup_words"] for r in rows if r["doc_id"] == 6) == 70
+
+
 def test_passage_within_a_document(spark):
     words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     texts = [f"{words('a', 50)} {words('p', 60)} {words('b', 90)} {words('p', 60)} {words('c', 50)}", words("q", 200), " ".join(["r1 r2 r3 r4 r5 r6"] * 5)]
