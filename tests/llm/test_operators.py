@@ -310,6 +310,18 @@ def test_copies_and_repeated_ids(spark):
     assert len(rows) == len(texts) and next(r["n_dup_words"] for r in rows if r["doc_id"] == 6) == 70
 
 
+def test_windows_of_one_kind_meet_others_once(spark, monkeypatch):
+    """Of a line that texts repeat over and over, whose windows are settled, few go on; what differs still meets one of them."""
+    texts = [" ".join([f"a{i}x{j}" for j in range(60)] + ["is", "onhe"] * 300 + [f"b{i}x{j}" for j in range(60)]) for i in range(8)]
+    pair = [" ".join([f"c{i}x{j}" for j in range(60)] + ["is", "onhe"] * 9 + [f"d{j}" for j in range(60)]) for i in range(2)]
+    taken = []
+    mixed = passages.mixed
+    monkeypatch.setattr(passages, "mixed", lambda windows: taken.append(windows.count()) or mixed(windows))
+    rows = passages.passage_classes(spark.createDataFrame(list(enumerate(texts + pair)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {**dict.fromkeys(range(8), 0), 8: 8, 9: 8}
+    assert taken[1] < taken[0] / 2, taken
+
+
 def test_passage_within_a_document(spark):
     words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     texts = [f"{words('a', 50)} {words('p', 60)} {words('b', 90)} {words('p', 60)} {words('c', 50)}", words("q", 200), " ".join(["r1 r2 r3 r4 r5 r6"] * 5)]
