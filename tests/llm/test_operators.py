@@ -405,3 +405,43 @@ def test_exact_matches_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     same(exact.op5_chunk_recipes(spark, sf), connect(sf), exact.ORACLE)
+
+
+def test_pairs_that_may_match():
+    """No pair of windows with passages alike goes by the shingles around them, in texts that repeat themselves too."""
+    rng, seen = random.Random(5), Counter()
+    for _ in range(200):
+        few = rng.choice((6, 20, 60, 10**6))
+        x = [f"w{rng.randrange(few)}" for _ in range(rng.randrange(50, 200))]
+        y = list(x)
+        for _ in range(rng.randrange(1, 16)):
+            e = rng.randrange(len(y))
+            y[e : e + rng.randrange(3)] = [f"c{rng.randrange(9)}"] * rng.randrange(3)
+        x, y = passages.shingles(" ".join(x)), passages.shingles(" ".join(y))
+        for a in range(0, len(x), 11):
+            for b in np.flatnonzero(y == x[a])[:3].tolist():
+                around = np.stack([passages.short_hashes(x, a), passages.short_hashes(y, b)])
+                may, does = bool(passages.may_match(around, np.array([0]), np.array([1]))[0]), bool(passages.best_match(x, a, y, b))
+                assert may or not does
+                seen[may, does] += 1
+    assert seen[True, True] > 300 and seen[False, False] > 300, seen
+
+
+def test_near_copies_meet_few(spark, monkeypatch):
+    """Of near copies, and of texts that share a phrase, not each pair of windows is verified; classes are those of all pairs."""
+    rng, base, texts = random.Random(8), [f"b{i}" for i in range(130)], []
+    for i in range(48):
+        y = [w if rng.random() > 0.07 else f"e{i}x{j}" for j, w in enumerate(base)]
+        texts.append(" ".join([f"p{i}x{j}" for j in range(9)] + y))
+    phrase = [f"c{i}" for i in range(40)]
+    texts += [" ".join([f"q{i}x{j}" for j in range(60)] + phrase + [f"r{i}x{j}" for j in range(60)]) for i in range(48)]
+    hashed, want = [passages.shingles(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(hashed):
+        for j, y in enumerate(hashed[:i]):
+            if want[i] != want[j] and any(passages.best_match(x, a, y, int(b)) for a in np.flatnonzero(np.isin(x, y)) for b in np.flatnonzero(y == x[a])):
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    counts, tried = [], passages.tried
+    monkeypatch.setattr(passages, "tried", lambda pairs, pressed: counts.append(pairs.count()) or tried(pairs, pressed))
+    rows = passages.passage_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["class_id"] for r in sorted(rows)] == want
+    assert sum(counts[1:]) <= counts[0], counts
