@@ -18,7 +18,7 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize(
     "name, most",
-    {"md_chunks": 1}.items(),
+    {"md_links": 2, "md_links_of": 2, "md_backlinks": 2, "md_chunks": 1}.items(),
 )
 def test_documents_are_parsed_once_a_part(spark, name, most):
     """Documents are parsed for no part that a query does not need, and for none again at each use of it."""
@@ -49,3 +49,18 @@ def test_parts_are_those_of_the_whole_parse(spark):
         assert [x.asDict() for x in whole[path]["chunks"]] == markdown.chunks(text or "", sections)
     assert [whole[f"{i}.md"]["title"] for i in range(4)] == ["0", "1", "2", "T"]
     assert isinstance(markdown._nested([[], []], pa.list_(pa.struct({"a": pa.int32()}))), pa.ListArray)
+
+
+def test_links_by_alias_and_in_one_pass(spark):
+    texts = {"a.md": "---\nalias: Al\n---\n", "x/b.md": "[[Al]] [[a]] [[c]] [[b]] the alias", "y/c.md": "[[gone]] [[Al]]"}
+    docs = spark.createDataFrame(list(texts.items()), "path string, text string")
+    now = index.build(docs)
+    target = lambda i: {(r["src"], r["target"]): r["target_path"] for r in i.links.collect()}
+    want = {("x/b.md", "Al"): "a.md", ("x/b.md", "a"): "a.md", ("x/b.md", "c"): "y/c.md", ("x/b.md", "b"): "x/b.md", ("y/c.md", "gone"): None, ("y/c.md", "Al"): "a.md"}
+    assert target(now) == want
+    assert {r["path"]: (r["out_links"], r["back_links"]) for r in graph.degrees(now.files, now.links).collect()} == {"a.md": (0, 3), "x/b.md": (4, 0), "y/c.md": (2, 1)}
+    # a link that has a target keeps it, the others look for one
+    more = index.upsert(now, index.build(spark.createDataFrame([("gone.md", ""), ("x/a.md", "")], "path string, text string")))
+    assert target(more) == {**want, ("y/c.md", "gone"): "gone.md"}
+    left = index.remove(more, spark.createDataFrame([("a.md",)], "path string"))
+    assert target(left) == {**want, ("y/c.md", "gone"): "gone.md", ("x/b.md", "a"): "x/a.md", ("x/b.md", "Al"): None, ("y/c.md", "Al"): None}
