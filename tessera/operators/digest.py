@@ -36,7 +36,7 @@ def map_rows(files: DataFrame, links: DataFrame, headings: DataFrame, tables: Da
     has its second-level headings.  A database's bullet has its tables.
     """
     shown = files if folder is None else files.filter(under("path", folder))
-    rows = shown.select("path", "kind", "about", "tags").join(degrees(files, links), "path", "left").join(heading_summary(headings), "path", "left")
+    rows = degrees(shown, links, "kind", "about", "tags").join(heading_summary(headings), "path", "left")
     rows = rows.join(table_summary(tables), "path", "left") if tables is not None else rows.withColumn("tables", F.lit(None).cast("string"))
     part = lambda test, *c: F.when(test, F.concat(*c)).otherwise(F.lit(""))
     tags = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("`#"), t, F.lit("`"))), " ")
