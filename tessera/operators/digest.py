@@ -9,6 +9,8 @@ from ..functions.text import path_parts, under
 from .graph import basename, degrees
 
 DOT = " · "
+#: Shares into which report() deals the findings of a category.
+SHARES = 200
 
 
 def in_order(value: str, by: str, level: str | None = None):
@@ -66,8 +68,15 @@ def map_text(rows: DataFrame, files: DataFrame, links: DataFrame, updated: str)
 def report(findings: DataFrame, cap: int | None = 10) -> DataFrame:
     """(category, item, total): up to ``cap`` findings of each category of a health check, and how many there are."""
     every = Window.partitionBy("category")
-    ranked = findings.withColumns({"total": F.count("*").over(every), "_r": F.row_number().over(every.orderBy("item"))})
-    return (ranked if cap is None else ranked.filter(F.col("_r") <= cap)).drop("_r")
+    if cap is None:
+        return findings.withColumn("total", F.count("*").over(every))
+    # one category may have most findings: each share of them counts its own and keeps its first ones
+    share = Window.partitionBy("category", "_share")
+    rows = findings.withColumn("_share", F.pmod(F.xxhash64("item"), F.lit(SHARES)))
+    rows = rows.withColumns({"_n": F.count("*").over(share), "_r": F.row_number().over(share.orderBy("item"))}).filter(F.col("_r") <= max(cap, 1))
+    total = F.sum(F.when(F.col("_r") == 1, F.col("_n")).otherwise(0)).over(every)
+    ranked = rows.withColumns({"total": total, "_r": F.row_number().over(every.orderBy("item"))})
+    return ranked.filter(F.col("_r") <= cap).drop("_r", "_n", "_share")
 
 
 def plural(n, word: str):
