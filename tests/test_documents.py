@@ -18,7 +18,7 @@ def plan(df) -> str:
 
 @pytest.mark.parametrize(
     "name, most",
-    {"md_links": 2, "md_links_of": 2, "md_backlinks": 2, "md_degrees": 3, "map_rows": 4, "doctor_report": 1, "md_chunks": 1, "index_sync_plan": 1, "doctor": 1, "index_remove": 4, "index_upsert": 10, "index_sync": 14}.items(),
+    {"md_links": 2, "md_links_of": 2, "md_backlinks": 2, "md_degrees": 3, "map_rows": 4, "doctor_report": 1, "md_chunks": 1, "index_sync_plan": 1, "doctor": 1, "find_chunks": 2, "index_remove": 4, "index_upsert": 10, "index_sync": 14}.items(),
 )
 def test_documents_are_parsed_once_a_part(spark, name, most):
     """Documents are parsed for no part that a query does not need, and for none again at each use of it."""
